@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelith.llm import mixing, packing, quality_rules
+from voxelith.llm import mixing, packing, quality_classifier, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
