@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,3 +123,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that a slice has at most about most_bytes of text, one row at least."""
+    index = batch.schema.get_field_index(column)
+    sizes = pa.compute.binary_length(batch.column(index)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes + 64) // most_bytes
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield batch.slice(start, end - start)
