@@ -54,13 +54,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     a segment's words at once. Null texts have no words.
     """
     texts = texts.fill_null("").cast(pa.large_string())
-    if texts.offset:
-        texts = pa.concat_arrays([texts])
     if len(texts) == 0:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     ends_at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
-    data = np.frombuffer(raw, dtype=np.uint8)[: ends_at[-1]] if raw is not None and ends_at[-1] else np.zeros(0, np.uint8)
+    data = np.frombuffer(raw, dtype=np.uint8)[ends_at[0] : ends_at[-1]] if raw is not None else np.zeros(0, np.uint8)
+    ends_at = ends_at - ends_at[0]
     ink = np.zeros(len(data) + 2, dtype=bool)
     ink[1:-1] = ~_SPACE[data]
     opens = ink[1:-1] & ~ink[:-2]
