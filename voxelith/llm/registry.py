@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelith.llm import chat_format, embedding_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules
+from voxelith.llm import chat_format, embedding_dedup, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_ngram_join": ngram_join.op6_ngram_join,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
 
