@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelith.llm import chat_format, embedding_dedup, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules
+from voxelith.llm import chat_format, embedding_dedup, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_ngram_join": ngram_join.op6_ngram_join,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op7_warc": warc.op7_warc,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.SQL}
+    return {"op7_warc": warc.SQL, "op8_quality_rules": quality_rules.SQL}
