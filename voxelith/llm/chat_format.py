@@ -1,11 +1,11 @@
 """Chat formatting over a prefix tree.
 
-Conversations that share their first turns share the nodes of those turns. A node is one
-turn in its context: its key is the chain of hashes from the root, so equal prefixes meet
-by key and no tree is ever held in one place. Sorted by that chain, nodes stand in
-depth-first order; running sums over the sorted stream give each node its place, and each
-is emitted once. Position ids continue from the node's parent, and a node may attend to
-itself (causally) and to the intervals of its ancestors, nothing else.
+Conversations that share their first turns share the nodes of those turns. A turn's key is
+a hash chained from the root, so equal prefixes meet by key and no tree is ever held in one
+place. Runs of turns without a branch are one segment. Sorted by the heads of the segments
+above, segments stand in depth-first order; running sums over the sorted stream give each
+its place, and each is emitted once. Position ids continue from the ancestors, and a
+segment may attend to itself (causally) and to the intervals of its ancestors, nothing else.
 
 Template of a turn: ``<s>[INST]role[/INST]text</s>``. Inside roles and texts a backslash
 follows the first character of every control string, and precedes every backslash, so no
@@ -64,114 +64,176 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if rows:
+        columns = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def turn_nodes(conversations: DataFrame) -> DataFrame:
-    """One row for each turn of each conversation: conv_id, depth, chain, role, text.
+    """One row for each turn of each conversation: conv_id, depth, key, parent, last, role, text.
 
-    chain holds a 128-bit hash of every prefix up to the turn, as pairs of longs in order of
-    depth; it is the node's key and its sort key.
+    key is a 128-bit hash chained over the conversation's turns so far, parent that of the
+    turn before (null for a first turn); last marks the final turn.
     """
     rows = conversations.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
+        F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    chained = turns.withColumn(
-        "chains",
-        F.expr(
-            """
-            aggregate(
-              transform(turns, t -> struct(xxhash64('a', t.role, t.text) as a, xxhash64('b', t.role, t.text) as b)),
-              cast(array() as array<array<bigint>>),
-              (acc, h) -> concat(acc, array(
-                case when size(acc) = 0 then array(h.a, h.b)
-                else array(xxhash64(get(acc, size(acc) - 1)[0], get(acc, size(acc) - 1)[1], h.a, h.b, 'a'),
-                           xxhash64(get(acc, size(acc) - 1)[1], get(acc, size(acc) - 1)[0], h.b, h.a, 'b')) end)))
-            """
-        ),
+    schema = "conv_id long, depth int, key binary, parent binary, last boolean, role string, text string"
+    arrow = pa.schema(
+        [("conv_id", pa.int64()), ("depth", pa.int32()), ("key", pa.binary()), ("parent", pa.binary()), ("last", pa.bool_()),
+         ("role", pa.string()), ("text", pa.string())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                out = []
+                part = batch.slice(i, 512)
+                for conv_id, turns in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    parent = None
+                    for depth, t in enumerate(turns):
+                        role = t["role"].encode()
+                        head = (parent or b"") + len(role).to_bytes(4, "little") + role
+                        key = hashlib.blake2b(head + t["text"].encode(), digest_size=16).digest()
+                        out.append((conv_id, depth, key, parent, depth == len(turns) - 1, t["role"], t["text"]))
+                        parent = key
+                yield from _batches(out, arrow)
+
+    return turns.mapInArrow(run, schema)
+
+
+def _segments(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """conv_id, place, path (heads of the segments so far) and keys of its turns.
+
+    A segment is a run of turns without a branch or an end inside; its head is the key of
+    its first turn. A turn heads a segment if it is a first turn, if its parent has other
+    continuations, or if some conversation ends at its parent.
+    """
+    splits = nodes.where("parent is not null").groupBy(F.col("parent").alias("p")).agg((F.count(F.lit(1)) > 1).alias("forks"))
+    ends = nodes.where("ends").select(F.col("key").alias("p"), F.lit(True).alias("forks"))
+    forks = splits.where("forks").unionByName(ends).select("p").distinct().withColumn("forks", F.lit(True))
+    heads = nodes.select("key", "parent").join(forks, nodes.parent == forks.p, "left").select(
+        "key", (F.col("parent").isNull() | F.coalesce("forks", F.lit(False))).alias("head")
     )
-    return chained.select("conv_id", F.posexplode("turns").alias("depth", "t"), "chains").select(
-        "conv_id", "depth", F.flatten(F.slice("chains", F.lit(1), F.col("depth") + 1)).alias("chain"), "t.role", "t.text"
+    rows = members.select("conv_id", "depth", "key").join(heads, "key")
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "key", "head"))).alias("turns"))
+    arrow = pa.schema(
+        [("conv_id", pa.int64()), ("place", pa.int32()), ("path", pa.list_(pa.binary())), ("keys", pa.list_(pa.binary()))]
     )
 
-
-def _encode_nodes(nodes: DataFrame, tokenizer: str) -> DataFrame:
-    """Adds formatted text, its token ids and the loss span in characters of the turn."""
-    schema = (
-        "chain array<long>, depth int, role string, formatted string, ids array<int>, n_tokens long, "
-        "loss_start int, loss_end int"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts: list[list[bytes]] = []
+                for t in turns:
+                    if t["head"]:
+                        parts.append([])
+                    parts[-1].append(t["key"])
+                path = [p[0] for p in parts]
+                out += [(conv_id, k, path[: k + 1], keys) for k, keys in enumerate(parts)]
+            yield from _batches(out, arrow)
+
+    return whole.mapInArrow(run, "conv_id long, place int, path array<binary>, keys array<binary>")
+
+
+def _encoded(segments: DataFrame, nodes: DataFrame, tokenizer: str) -> DataFrame:
+    """head, path, ids, n_tokens and turns (role, formatted, n_tokens, loss span) of each segment."""
+    placed = segments.select("head", "path", F.posexplode("keys").alias("at", "key"))
+    whole = placed.join(nodes.select("key", "role", "text"), "key").groupBy("head").agg(
+        F.first("path").alias("path"), F.sort_array(F.collect_list(F.struct("at", "role", "text"))).alias("turns")
+    )
+    turn = pa.struct(
+        [("role", pa.string()), ("formatted", pa.string()), ("n_tokens", pa.int32()), ("loss_start", pa.int32()), ("loss_end", pa.int32())]
     )
     arrow = pa.schema(
-        [("chain", pa.list_(pa.int64())), ("depth", pa.int32()), ("role", pa.string()), ("formatted", pa.string()),
-         ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("loss_start", pa.int32()), ("loss_end", pa.int32())]
+        [("head", pa.binary()), ("path", pa.list_(pa.binary())), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()),
+         ("turns", pa.list_(turn))]
     )
+    schema = (
+        "head binary, path array<binary>, ids array<int>, n_tokens long, "
+        "turns array<struct<role: string, formatted: string, n_tokens: int, loss_start: int, loss_end: int>>"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         for batch in batches:
-            rows = []
-            for chain, depth, role, text in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                whole = format_turn(role, text)
-                ids = encode(whole)
-                end = len(whole) - len("</s>") if role == LOSS_ROLE else 0
-                start = end - len(escape(text)) if role == LOSS_ROLE else 0
-                rows.append((chain, depth, role, whole, ids, len(ids), start, end))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-
-    return nodes.select("chain", "depth", "role", "text").mapInArrow(run, schema)
+            for i in range(0, batch.num_rows, 512):
+                out = []
+                part = batch.slice(i, 512)
+                for head, path, turns in zip(*[part.column(k).to_pylist() for k in range(3)], strict=True):
+                    ids, done = [], []
+                    for t in turns:
+                        whole = format_turn(t["role"], t["text"])
+                        own = encode(whole)
+                        learn = t["role"] == LOSS_ROLE
+                        end = len(whole) - len("</s>") if learn else 0
+                        start = end - len(escape(t["text"])) if learn else 0
+                        done.append({"role": t["role"], "formatted": whole, "n_tokens": len(own), "loss_start": start, "loss_end": end})
+                        ids += own
+                    out.append((head, path, ids, len(ids), done))
+                yield from _batches(out, arrow)
+
+    return whole.mapInArrow(run, schema)
 
 
 def prefix_tree(conversations: DataFrame, tokenizer: str = BYTE_BPE) -> tuple[DataFrame, DataFrame]:
-    """The emitted stream and the conversations' places in it.
+    """The emitted stream and the conversations' paths through it.
 
-    stream: node (long, depth-first rank), chain, depth, role, formatted, ids, n_tokens,
-    offset (tokens before it in the stream), position (of its first token in every
-    conversation through it), attends (intervals of ancestors in the stream), loss_start,
-    loss_end. paths: conv_id, depth, chain.
+    stream: head, path, ids, n_tokens, turns, offset (tokens before the segment in the
+    depth-first stream), position (of its first token in every conversation through it) and
+    attends (intervals of its ancestors in the stream, adjacent ones merged). Inside a
+    segment tokens follow each other causally. paths: conv_id, place, head.
     """
     members = materialize(turn_nodes(conversations), "chat-turns")
-    nodes = members.groupBy("chain").agg(F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"))
+    nodes = members.groupBy("key").agg(
+        F.first("parent").alias("parent"), F.max("last").alias("ends"), F.first("role").alias("role"), F.first("text").alias("text")
+    )
+    nodes = materialize(nodes, "chat-nodes")
+    routes = materialize(_segments(members, nodes), "chat-routes").withColumn("head", F.element_at("path", -1))
+    segments = routes.groupBy("head").agg(F.first("path").alias("path"), F.first("keys").alias("keys"))
     n = partitions_for(conversations.sparkSession)
-    ordered = _encode_nodes(nodes, tokenizer).repartitionByRange(n, "chain").sortWithinPartitions("chain")
-    stored = materialize(ordered.withColumn("__part", F.spark_partition_id()), "chat-nodes")
+    ordered = _encoded(segments, nodes, tokenizer).repartitionByRange(n, "path")
+    stored = materialize(ordered.withColumn("__part", F.spark_partition_id()), "chat-segments")
 
-    # The sums inside a range-partition come from a window over it, the sums before it from the
+    # Sums inside a range partition come from a window over it, those before it from the
     # partitions' totals, a table with one row for each.
-    totals = stored.groupBy("__part").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    totals = stored.groupBy("__part").agg(F.sum("n_tokens").alias("tokens"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select(
-        "__part",
-        F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("__tokens"),
-        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__rows"),
+    starts = totals.select("__part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("__tokens"))
+    inside = W.partitionBy("__part").orderBy("path").rowsBetween(W.unboundedPreceding, -1)
+    placed = stored.select(
+        "__part", "head", "path", "n_tokens", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("__in")
     )
-    inside = W.partitionBy("__part").orderBy("chain")
-    placed = stored.select("__part", "chain", "depth", "n_tokens").select(
-        "__part", "chain", "depth", "n_tokens",
-        F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__in"),
-        F.row_number().over(inside).alias("__row"),
-    )
     placed = materialize(
-        placed.join(starts, "__part").select(
-            "chain", "depth", "n_tokens", (F.col("__tokens") + F.col("__in")).alias("offset"),
-            (F.col("__rows") + F.col("__row") - 1).alias("node"),
-        ),
+        placed.join(starts, "__part").select("head", "path", "n_tokens", (F.col("__tokens") + F.col("__in")).alias("offset")),
         "chat-places",
-    )
+    )
 
-    # Every proper prefix of a chain is an ancestor.
-    up = placed.where("depth > 0").select(
-        "chain", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("k")
-    ).select("chain", F.slice("chain", F.lit(1), 2 * F.col("k")).alias("ancestor"))
-    spans = placed.select(F.col("chain").alias("ancestor"), F.col("depth").alias("d"), F.struct("offset", (F.col("offset") + F.col("n_tokens")).alias("end")).alias("span"), F.col("n_tokens").alias("w"))
-    lineage = (
-        up.join(spans, "ancestor").groupBy("chain")
-        .agg(F.sort_array(F.collect_list("span")).alias("attends"), F.sum("w").alias("position"))
+    up = placed.where(F.size("path") > 1).select("head", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("up"))
+    spans = placed.select(F.col("head").alias("up"), F.struct("offset", (F.col("offset") + F.col("n_tokens")).alias("end")).alias("span"))
+    merged = F.expr(
+        """
+        aggregate(spans, cast(array() as array<struct<offset: bigint, end: bigint>>),
+          (acc, s) -> case
+            when size(acc) > 0 and get(acc, size(acc) - 1).end = s.offset
+            then concat(slice(acc, 1, size(acc) - 1), array(struct(get(acc, size(acc) - 1).offset as offset, s.end as end)))
+            else concat(acc, array(s)) end)
+        """
+    )
+    lineage = up.join(spans, "up").groupBy("head").agg(F.sort_array(F.collect_list("span")).alias("spans")).select(
+        F.col("head"), merged.alias("attends"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["offset"]).alias("position"),
     )
     stream = (
-        stored.drop("__part", "depth", "n_tokens").join(placed, "chain").join(lineage, "chain", "left")
+        stored.drop("__part", "path", "n_tokens").join(placed, "head").join(lineage, "head", "left")
         .withColumn("attends", F.coalesce("attends", F.expr("cast(array() as array<struct<offset: bigint, end: bigint>>)")))
-        .withColumn("position", F.coalesce("position", F.lit(0)))
+        .withColumn("position", F.coalesce("position", F.lit(0).cast("long")))
     )
-    return stream, members.select("conv_id", "depth", "chain")
+    return stream, routes.select("conv_id", "place", "head")
 
 
 def read_back(stream: DataFrame, paths: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
@@ -179,10 +241,9 @@ def read_back(stream: DataFrame, paths: DataFrame, tokenizer: str = BYTE_BPE) ->
 
     Columns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
     """
-    parts = paths.join(stream.select("chain", "offset", "position", "ids", "loss_start", "loss_end"), "chain")
-    whole = parts.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("depth", "position", "ids", "loss_start", "loss_end"))).alias("path")
-    )
+    turns = F.transform("turns", lambda t: F.struct(t["n_tokens"], t["loss_start"], t["loss_end"])).alias("turns")
+    parts = paths.join(stream.select("head", "position", "ids", turns), "head")
+    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "position", "ids", "turns"))).alias("path"))
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     arrow = pa.schema(
         [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
@@ -192,26 +253,30 @@ def read_back(stream: DataFrame, paths: DataFrame, tokenizer: str = BYTE_BPE) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = encoder(tokenizer).decode
         for batch in batches:
-            rows = []
-            for conv_id, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                chunks, learned, at = [], [], 0
-                for part in path:
-                    if part["position"] != at:
-                        raise ValueError("position ids do not continue along the path")
-                    at += len(part["ids"])
-                    text = decode(part["ids"])
-                    chunks.append(text)
-                    if part["loss_end"]:
-                        learned.append(unescape(text[part["loss_start"] : part["loss_end"]]))
-                formatted = "".join(chunks)
-                turns = parse(formatted)
-                digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                loss = "".join(learned)
-                rows.append((conv_id, len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-
-    return whole.select(F.col("conv_id").cast("long").alias("conv_id"), "path").mapInArrow(run, schema)
+            for i in range(0, batch.num_rows, 256):
+                out = []
+                slice_ = batch.slice(i, 256)
+                for conv_id, path in zip(slice_.column(0).to_pylist(), slice_.column(1).to_pylist(), strict=True):
+                    chunks, learned, at = [], [], 0
+                    for part in path:
+                        if part["position"] != at:
+                            raise ValueError("position ids do not continue along the path")
+                        begin = 0
+                        for t in part["turns"]:
+                            text = decode(part["ids"][begin : begin + t["n_tokens"]])
+                            begin += t["n_tokens"]
+                            chunks.append(text)
+                            if t["loss_end"]:
+                                learned.append(unescape(text[t["loss_start"] : t["loss_end"]]))
+                        at += begin
+                    formatted = "".join(chunks)
+                    found = parse(formatted)
+                    digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in found).encode()).hexdigest()
+                    loss = "".join(learned)
+                    out.append((conv_id, len(found), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
+                yield from _batches(out, arrow)
+
+    return whole.mapInArrow(run, schema)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
