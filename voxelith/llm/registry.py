@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelith.llm import chat_format, embedding_dedup, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, warc
+from voxelith.llm import chat_format, embedding_dedup, hidden_markov, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op2_hidden_markov": hidden_markov.op2_hidden_markov,
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_quality_classifier": quality_classifier.op4_quality_classifier,
         "op5_mix_sources": mixing.op5_mix_sources,
