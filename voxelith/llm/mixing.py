@@ -106,12 +106,13 @@ def _solve(hist: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     return state.select("source", "unit", "dual", "full")
 
 
-def mix_sources(
+def mix_rows(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken for every document."""
+    """__row, doc_id, source, size, source_size, target, rate, copies, taken for every row of docs,
+    which has a __row of its own."""
     sized = materialize(
-        docs.select("doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size")), "mix-sizes"
+        docs.select("__row", "doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size")), "mix-sizes"
     )
     hist = materialize(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -132,12 +133,12 @@ def mix_sources(
             F.ceil(F.col("n") / BUCKET_ROWS).alias("__buckets"),
         )
     )
-    # The row's place in its file parts rows that repeat one doc_id; it is taken before the join.
-    placed = sized.withColumn("__hash", F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    # The row's place in its file parts rows that repeat one doc_id.
+    placed = sized.withColumn("__hash", F.xxhash64("doc_id", "__row"))
     keyed = placed.join(rates, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")))
     dealt = materialize(
         keyed.withColumn("__bucket", F.pmod(F.col("__hash"), F.col("__buckets")))
-        .select("doc_id", "source", "size", "source_size", "target", "rate", "__hash", "__bucket"),
+        .select("__row", "doc_id", "source", "size", "source_size", "target", "rate", "__hash", "__bucket"),
         "mix-dealt",
     )
     part = F.col("rate") - F.floor("rate")
@@ -154,7 +155,7 @@ def mix_sources(
     copies = (F.floor("rate") + upto(F.col("__rank")) - upto(F.col("__rank") - 1)).cast("long")
     rounded = materialize(
         ranked.join(start, on).select(
-            "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "rate",
+            "__row", "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "rate",
             copies.alias("copies"), "__hash",
         ),
         "mix-rounded",
@@ -198,8 +199,26 @@ def _settle(rounded: DataFrame, cap: float) -> DataFrame:
     on = F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__s")) & (F.col("__hash") == F.col("__h"))
     copies = F.col("copies") + F.coalesce(F.col("move"), F.lit(0))
     return rounded.join(moves, on, "left").select(
-        "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "__row", "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    )
+
+
+def mix_sources(
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken for every document."""
+    rows = docs.select("doc_id", "source", "text").withColumn("__row", F.monotonically_increasing_id())
+    return mix_rows(rows, weights, share, cap).drop("__row")
+
+
+def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with its columns."""
+    rows = docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("__whole")).withColumn(
+        "__row", F.monotonically_increasing_id()
     )
+    taken = mix_rows(rows.select("__row", "doc_id", "source", "text"), weights, share, cap).where("copies > 0")
+    times = taken.select("__row", F.sequence(F.lit(1).cast("long"), "copies").alias("__times"))
+    return rows.select("__row", "__whole").join(times, "__row").select("__whole", F.explode("__times")).select("__whole.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
