@@ -571,7 +571,7 @@ def _longs(spark, sf_dir, n: int) -> DataFrame:
     """Arrays of n longs from each supplier's order lines in order of value; the last may be shorter."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     whole = lines.groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.expr(_VALUE))).alias("w"))
-    part = whole.select("l_suppkey", "w", F.explode(F.expr(f"sequence(0, (size(w) - 1) div {n})")).cast("int").alias("part"))
+    part = whole.select("l_suppkey", "w", F.explode(F.expr(f"sequence(0, cast((size(w) - 1) div {n} as int))")).alias("part"))
     return part.select("l_suppkey", "part", F.slice("w", F.col("part") * n + 1, n).alias("a"))
 
 
