@@ -52,6 +52,16 @@ def word_array(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_PATTERN))
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once.
+
+    A filter over a costly column is pushed below it and repeats its expression, inside
+    lambdas once for each element; it stops at the generator that is put here.
+    """
+    whole = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("__pin")
+    return df.select("*", whole).select("*", "__pin.*").drop("__pin")
+
+
 def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import SPACE_CHARS, map_groups, materialize, table, word_array
+from voxelith.llm.common import SPACE_CHARS, map_groups, materialize, pinned, table, word_array
 from voxelith.llm.quality_rules import STOP_WORDS
 
 #: At most about so many labelled rows are learned from.
@@ -96,7 +96,7 @@ def with_statistics(docs: DataFrame, text: str = "text", name: str = "__stats")
         F.col("__distinct_lines") / lines,
         F.log1p("__lines").cast("double"),
     )
-    return inner.withColumn(name, stats).select(*docs.columns, name)
+    return pinned(inner, **{name: stats}).select(*docs.columns, name)
 
 
 @dataclass(frozen=True)

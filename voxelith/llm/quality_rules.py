@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import SPACE_CHARS, table, word_array
+from voxelith.llm.common import SPACE_CHARS, pinned, table, word_array
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -120,8 +120,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     lines = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
-    return step.withColumns(
-        {
+    replaced = {"n_repeat_words", *[r.name for r in THRESHOLDS]} - {"n_words"}
+    return pinned(
+        step.drop(*replaced),
+        **{
             "n_repeat_words": _repeat_words("__words", "__grams"),
             "mean_word_chars": F.col("word_chars") / words,
             "symbols_per_word": F.col("n_symbols") / words,
