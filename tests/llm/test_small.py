@@ -142,7 +142,7 @@ def test_language_model(docs, empty):
         base = sum(math.log10((count[t] + 1) / (n + v + 1)) for t in tokens)
         want[(r[0], held[r[0]], len(tokens), sum(count[t] > 0 for t in tokens), round(base, 6))] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert all(r.score < 0 and math.isfinite(r.score) and r.train_tokens == n for r in got)
     assert hidden_markov.language_model_scores(empty).count() == 0
 
 
@@ -517,7 +517,7 @@ def test_simhash(spark):
         value = sum(1 << i for i in range(64) if 2 * counts[i] > len(own))
         return value - 2**64 if value >= 2**63 else value
 
-    texts = [prose(1, 30), prose(2, 300), "one two three", "A a a B"]
+    texts = [prose(1, 30), prose(2, 300), "one two three", "A a a B", " ".join(f"k{i}" for i in range(1000)), "x"]
     frame = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "__row long, doc_id long, text string")
     got = {r.doc_id: r.sim for r in line_dedup._occurrences(frame).collect()}
     assert got == {i: sim(t) for i, t in enumerate(texts)}
