@@ -523,6 +523,41 @@ def test_simhash(spark):
     assert got == {i: sim(t) for i, t in enumerate(texts)}
 
 
+def twin_lines(change, n=80):
+    """Lines of 8 to 40 words, each with a changed copy that still has the edit similarity."""
+    rng = np.random.default_rng(17)
+    word = lambda: "".join("abcdefghijklmnopqrstuvwxyz"[i] for i in rng.integers(0, 26, rng.integers(2, 10)))
+    vocabulary = [word() for _ in range(3000)]
+    twins = []
+    for i in range(n):
+        base = [vocabulary[j] for j in rng.integers(0, 3000, 8 + i % 33)]
+        line, other = " ".join(base), list(base)
+        if change == "words":  # as many as the similarity allows
+            for at in rng.permutation(len(base)):
+                more = [*other[:at], vocabulary[rng.integers(3000)], *other[at + 1 :]]
+                if edit(line, " ".join(more)) > 0.2 * max(len(line), len(" ".join(more))):
+                    break
+                other = more
+            twins.append((line, " ".join(other)))
+        else:  # one character in fifty
+            twins.append((line, "".join("#" if c != " " and rng.random() < 0.02 else c for c in line)))
+    return [(a, b) for a, b in twins if a != b]
+
+
+@pytest.mark.parametrize("change", ["words", "characters"])
+def test_line_recall(spark, change):
+    twins = twin_lines(change)
+    every = [x for pair in twins for x in pair]
+    true = {(i, j) for i, a in enumerate(every) for j, b in enumerate(every[:i])
+            if abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and len(set(a.split()) & set(b.split())) > 1
+            and edit(a, b) <= 0.2 * max(len(a), len(b))}
+    assert len(true) >= len(twins)
+    frame = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").coalesce(2)
+    gone = {r.doc_id for r in line_dedup.dedup_lines(frame).collect() if r.n_removed}
+    assert gone <= {max(p) for p in true}
+    assert len(gone) >= 0.95 * len({max(p) for p in true})
+
+
 # WARC ----------------------------------------------------------------------------------
 
 
