@@ -558,6 +558,18 @@ def test_line_recall(spark, change):
     assert len(gone) >= 0.95 * len({max(p) for p in true})
 
 
+def test_line_twins_whatever_the_table_size(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    data = []
+    for g in range(60):
+        base = [f"v{rng.integers(10**6)}" for _ in range(60)]
+        data += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:30] + ["changed"] + base[31:]))]
+    frame = spark.createDataFrame(data, "doc_id long, text string").coalesce(2)
+    # As though the table had more lines than any; nothing about a pair may follow the count.
+    monkeypatch.setattr(type(frame), "count", lambda self: 1 << 25)
+    assert sum(r.n_removed for r in line_dedup.dedup_lines(frame).collect()) == 60
+
+
 # WARC ----------------------------------------------------------------------------------
 
 
