@@ -42,7 +42,7 @@ class Capacity:
 
     def vector(self) -> np.ndarray:
         return np.array(
-            [self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], dtype=np.float64
+            [self.tokens, self.tokens if self.documents is None else self.documents, self.tokens**2 if self.attention is None else self.attention], dtype=np.float64
         )
 
 

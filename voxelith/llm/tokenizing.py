@@ -24,14 +24,15 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """Encodes whole texts without special tokens; strings of special tokens are ordinary text."""
+    """Encodes whole texts as the tokenizers library does with add_special_tokens=False: none is added,
+    but the string of one in a text is that token."""
 
     def __init__(self, path: str):
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.added = re.compile("|".join(map(re.escape, special)) or "(?!)")
         alphabet = _byte_alphabet()
         ranks = {
             bytes(alphabet[c] for c in token): rank
@@ -39,11 +40,11 @@ class Encoder:
             if token not in special
         }
         self.fast = tiktoken.Encoding(
-            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
 
     def encode(self, text: str) -> list[int]:
-        if _SETTLED.search(text):
+        if _SETTLED.search(text) or self.added.search(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
