@@ -46,6 +46,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _plain(plan) -> bool:
+    """Whether a logical plan is a scan of files, cut to columns and rows at most."""
+    if plan.nodeName() not in ("Project", "Filter", "LogicalRelation", "Relation parquet", "Relation", "SubqueryAlias"):
+        return False
+    children = plan.children()
+    return all(_plain(children.apply(i)) for i in range(children.size()))
+
+
+def numbered(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """docs with a number for each row that is the same whenever the frame is read.
+
+    Rows are numbered by their place in the scan of files. Whatever else docs may be, such as
+    the outcome of a shuffle, is written to files first.
+    """
+    if not _plain(docs._jdf.queryExecution().optimizedPlan()):
+        docs = materialize(docs, "numbered")
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
 def word_array(text: Column) -> Column:
     """The words of a text, ``[^\\x20\\x09-\\x0D]+``; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

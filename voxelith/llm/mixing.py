@@ -14,8 +14,8 @@ a source or size that holds most rows is never sorted in one task.
 
 Null texts and texts without words have size 0 and are taken with 0 words. A null source is
 a source of its own, the last in order. Repeated rows are documents of their own. Runs
-over the same files agree; another file layout may pick other documents of equal size. An empty table gives an empty result. Columns
-other than doc_id, text and source are ignored.
+agree whatever the layout of the files. An empty table gives an empty result. Columns other than
+doc_id, text and source are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from voxelith.llm.common import materialize, table, word_array
+from voxelith.llm.common import materialize, numbered, table, word_array
 
 #: Documents of equal source and size that are ranked in one task.
 BUCKET_ROWS = 8192
@@ -112,7 +112,8 @@ def mix_rows(
     """__row, doc_id, source, size, source_size, target, rate, copies, taken for every row of docs,
     which has a __row of its own."""
     sized = materialize(
-        docs.select("__row", "doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size")), "mix-sizes"
+        docs.select("__row", "doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("__hash")),
+        "mix-sizes",
     )
     hist = materialize(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -133,9 +134,9 @@ def mix_rows(
             F.ceil(F.col("n") / BUCKET_ROWS).alias("__buckets"),
         )
     )
-    # The row's place in its file parts rows that repeat one doc_id.
-    placed = sized.withColumn("__hash", F.xxhash64("doc_id", "__row"))
-    keyed = placed.join(rates, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")))
+    # The hash is of the contents, so that another file layout changes nothing; the row's place only
+    # parts rows that are equal in both, of which it doesn't matter which is taken.
+    keyed = sized.join(rates, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")))
     dealt = materialize(
         keyed.withColumn("__bucket", F.pmod(F.col("__hash"), F.col("__buckets")))
         .select("__row", "doc_id", "source", "size", "source_size", "target", "rate", "__hash", "__bucket"),
@@ -144,11 +145,11 @@ def mix_rows(
     part = F.col("rate") - F.floor("rate")
     along = W.partitionBy("source").orderBy("size", "__bucket").rowsBetween(W.unboundedPreceding, -1)
     start = (
-        dealt.groupBy("source", "size", "__bucket").agg(F.sum(part).alias("__add"))
+        dealt.groupBy("source", "size", "__bucket").agg((F.count(F.lit(1)) * F.first(part)).alias("__add"))
         .withColumn("__start", F.coalesce(F.sum("__add").over(along), F.lit(0.0)))
         .select(F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("__bucket").alias("__b"), "__start")
     )
-    rank = F.row_number().over(W.partitionBy("source", "size", "__bucket").orderBy("__hash", "doc_id"))
+    rank = F.row_number().over(W.partitionBy("source", "size", "__bucket").orderBy("__hash", "__row"))
     ranked = dealt.withColumn("__rank", rank)
     on = F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & (F.col("__bucket") == F.col("__b"))
     upto = lambda k: F.floor(F.round(F.col("__start") + k * part, 9) + 0.5)
@@ -172,31 +173,31 @@ def _settle(rounded: DataFrame, cap: float) -> DataFrame:
     need = rounded.groupBy("source").agg(
         (F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("need")
     )
-    state = materialize(need.select("source", "need", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("h")), "mix-need")
+    state = materialize(need.select("source", "need", *[F.lit(None).cast("long").alias(c) for c in ("s", "h", "r")]), "mix-need")
     picks = []
     for _ in range(SETTLE_ROUNDS):
-        now = state.select(F.col("source").alias("__source"), "need", "s", "h")
+        now = state.select(F.col("source").alias("__source"), "need", "s", "h", "r")
         free = F.when(F.col("need") > 0, F.col("copies") + 1 <= F.lit(cap)).otherwise(F.col("copies") >= 1)
-        later = F.col("s").isNull() | (F.col("size") < F.col("s")) | ((F.col("size") == F.col("s")) & (F.col("__hash") < F.col("h")))
+        later = F.col("s").isNull() | (F.struct("size", "__hash", "__row") < F.struct("s", "h", "r"))
         pick = (
             rounded.join(now, F.col("source").eqNullSafe(F.col("__source")))
             .where((F.col("size") > 0) & (F.col("size") <= F.abs("need")) & free & later)
-            .groupBy("source").agg(F.max(F.struct("size", "__hash")).alias("p"))
+            .groupBy("source").agg(F.max(F.struct("size", "__hash", "__row")).alias("p"))
             .select(F.col("source").alias("__source"), "p")
         )
         state = materialize(
             state.join(pick, F.col("source").eqNullSafe(F.col("__source")), "left").select(
                 "source", (F.col("need") - F.signum("need") * F.coalesce(F.col("p.size"), F.lit(0))).alias("need"),
-                F.coalesce(F.col("p.size"), F.lit(-1)).cast("long").alias("s"), F.col("p.__hash").alias("h"),
+                F.coalesce(F.col("p.size"), F.lit(-1)).cast("long").alias("s"), F.col("p.__hash").alias("h"), F.col("p.__row").alias("r"),
                 F.signum("need").cast("long").alias("move"),
             ),
             "mix-need",
         )
-        picks.append(state.where("s >= 0").select(F.col("source").alias("__source"), F.col("s").alias("__s"), F.col("h").alias("__h"), "move"))
+        picks.append(state.where("s >= 0").select(F.col("source").alias("__source"), F.col("s").alias("__s"), F.col("r").alias("__r"), "move"))
     moves = picks[0]
     for more in picks[1:]:
         moves = moves.unionByName(more)
-    on = F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__s")) & (F.col("__hash") == F.col("__h"))
+    on = F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__s")) & (F.col("__row") == F.col("__r"))
     copies = F.col("copies") + F.coalesce(F.col("move"), F.lit(0))
     return rounded.join(moves, on, "left").select(
         "__row", "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")
@@ -207,15 +208,13 @@ def mix_sources(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken for every document."""
-    rows = docs.select("doc_id", "source", "text").withColumn("__row", F.monotonically_increasing_id())
+    rows = numbered(docs.select("doc_id", "source", "text"))
     return mix_rows(rows, weights, share, cap).drop("__row")
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its columns."""
-    rows = docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("__whole")).withColumn(
-        "__row", F.monotonically_increasing_id()
-    )
+    rows = numbered(docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("__whole")))
     taken = mix_rows(rows.select("__row", "doc_id", "source", "text"), weights, share, cap).where("copies > 0")
     times = taken.select("__row", F.sequence(F.lit(1).cast("long"), "copies").alias("__times"))
     return rows.select("__row", "__whole").join(times, "__row").select("__whole", F.explode("__times")).select("__whole.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import materialize, mix64, table, text_slices
+from voxelith.llm.common import materialize, mix64, numbered, table, text_slices
 from voxelith.llm.links import blobs, bucket_edges, component_links, connected_components
 from voxelith.llm.shingles import minhash, shingled
 
@@ -185,7 +185,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> Dat
     sequence; n_links counts other documents at the threshold or above. kept marks one row
     of each class.
     """
-    rows = docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id())
+    rows = numbered(docs.select("doc_id", "text"))
     found = materialize(jaccard_classes(rows, threshold, runs).join(rows.select("__row", "doc_id"), "__row"), "join-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row"))
     copies = found.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("copy_id"))
@@ -202,9 +202,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> Dat
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
     """One document of each class, the one of the smallest doc_id, with its columns."""
-    rows = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("__whole")).withColumn(
-        "__row", F.monotonically_increasing_id()
-    )
+    rows = numbered(docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("__whole")))
     found = jaccard_classes(rows.select("__row", "text"), threshold, runs)
     found = materialize(found.select("__row", "component").join(rows.select("__row", "doc_id"), "__row"), "join-rows")
     heads = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")).alias("h"))
