@@ -31,8 +31,13 @@ def from_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def assemble(chunks: DataFrame) -> DataFrame:
-    """The dense map over the chunks' extent: cells of missing chunks have a null h and gap set."""
-    cells = from_chunks(chunks.dropDuplicates(["cx", "cz"]))
+    """The dense map over the chunks' extent: cells of missing chunks have a null h and gap set.
+
+    Of chunks with the same place that of the last path wins; without paths places must not repeat.
+    """
+    if "path" in chunks.columns:
+        chunks = chunks.groupBy("cx", "cz").agg(F.max_by("h", "path").alias("h"))
+    cells = from_chunks(chunks)
     box = chunks.agg(F.min("cx").alias("a"), F.max("cx").alias("b"), F.min("cz").alias("c"), F.max("cz").alias("d"))
     wanted = box.select(F.explode(F.sequence("a", "b")).alias("cx"), "c", "d").select("cx", F.explode(F.sequence("c", "d")).alias("cz"))
     missing = wanted.join(chunks.select("cx", "cz").distinct(), ["cx", "cz"], "left_anti")

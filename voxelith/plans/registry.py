@@ -599,3 +599,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from voxelith.plans import saves  # noqa: E402, F401  registers its queries with query()

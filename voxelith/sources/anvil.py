@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,11 +181,11 @@ def water_flags(root: dict, tops: np.ndarray) -> np.ndarray:
 
 
 CHUNKS = "cx int, cz int, h array<int>"
-_ARROW = [("cx", pa.int32()), ("cz", pa.int32()), ("h", pa.list_(pa.int32()))]
+_ARROW = [("cx", pa.int32()), ("cz", pa.int32()), ("h", pa.list_(pa.int32())), ("path", pa.string())]
 
 
 def decode_regions(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """chunks(cx, cz, h and, if asked for, water) of binaryFile rows (path, content)."""
+    """chunks(cx, cz, h, path and, if asked for, water) of binaryFile rows (path, content)."""
     arrow = pa.schema(_ARROW + [("water", pa.list_(pa.bool_()))] * options.water)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,12 +198,12 @@ def decode_regions(files: DataFrame, options: ScanOptions = ScanOptions()) -> Da
                 for lx, lz, root in chunk_records(content.as_py()):
                     found = heights(root, options)
                     if found is not None:
-                        row = (place[0] * 32 + lx, place[1] * 32 + lz, found.ravel().tolist())
+                        row = (place[0] * 32 + lx, place[1] * 32 + lz, found.ravel().tolist(), path)
                         rows.append(row + ((water_flags(root, found).ravel().tolist(),) if options.water else ()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return files.select("path", "content").mapInArrow(run, CHUNKS + ", water array<boolean>" * options.water)
+    return files.select("path", "content").mapInArrow(run, CHUNKS + ", path string" + ", water array<boolean>" * options.water)
 
 
 def region_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,12 +217,45 @@ def region_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_region(chunks: dict[tuple[int, int], dict], compression: int = 2) -> bytes:
     """A region file of chunk tags by local place."""
+    return pack_region({place: (nbt.dump(root), compression) for place, root in chunks.items()})
+
+
+def pack_region(records: dict[tuple[int, int], tuple[bytes, int]]) -> bytes:
+    """A region file of dumped tags and their compression by local place; an unknown compression stores them as they are."""
     table, body = [0] * 1024, b""
-    for (lx, lz), root in sorted(chunks.items()):
-        raw = nbt.dump(root)
-        packed = {1: gzip.compress, 2: zlib.compress, 3: bytes}[compression](raw)
+    for (lx, lz), (raw, compression) in sorted(records.items()):
+        packed = {1: gzip.compress, 2: zlib.compress}.get(compression, bytes)(raw)
         record = struct.pack(">IB", len(packed) + 1, compression) + packed
         record += b"\x00" * (-len(record) % SECTOR)
         table[lz * 32 + lx] = ((2 + len(body) // SECTOR) << 8) | (len(record) // SECTOR)
         body += record
     return struct.pack(">1024I", *table) + b"\x00" * SECTOR + body
+
+
+def encode_regions(tags: DataFrame) -> DataFrame:
+    """Region files (path, content) of chunks (cx, cz, tags, compression); a task holds one region's 1024 chunks at most."""
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        rx, rz = int(frame["cx"].iloc[0]) >> 5, int(frame["cz"].iloc[0]) >> 5
+        records = {
+            (int(cx) & 31, int(cz) & 31): (bytes(raw), int(how))
+            for cx, cz, raw, how in zip(frame["cx"], frame["cz"], frame["tags"], frame["compression"], strict=True)
+        }
+        return pd.DataFrame({"path": [f"r.{rx}.{rz}.mca"], "content": [pack_region(records)]})
+
+    return tags.groupBy(F.shiftright("cx", 5), F.shiftright("cz", 5)).applyInPandas(
+        lambda frame: pack(frame), "path string, content binary"
+    )
+
+
+def pack_longs(values: np.ndarray, bits: int, aligned: bool = True) -> np.ndarray:
+    """Numbers of so many bits in longs: none across two longs if aligned, else one stream of bits."""
+    out: list[int] = []
+    if aligned:
+        each = 64 // bits
+        for i in range(0, len(values), each):
+            out.append(sum(int(v) << (bits * k) for k, v in enumerate(values[i : i + each])))
+    else:
+        stream = sum(int(v) << (bits * k) for k, v in enumerate(values))
+        out = [(stream >> (64 * i)) & (2**64 - 1) for i in range(-(-len(values) * bits // 64))]
+    return np.array(out, dtype=np.uint64).view(np.int64)

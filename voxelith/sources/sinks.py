@@ -35,9 +35,8 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def write_png(pixels: DataFrame, path: str, width: int, height: int, bands: tuple[str, ...]) -> None:
-    """Writes pixels(px, py, bands): one band is gray, three are RGB, four RGBA, two gray with alpha."""
-    colour = {1: 0, 2: 4, 3: 2, 4: 6}[len(bands)]
+def pixel_rows(pixels: DataFrame, bands: tuple[str, ...]) -> DataFrame:
+    """py, x0 and row, the bytes of a run of pixels from x0 on, in the order of the image."""
 
     def strips(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -47,7 +46,13 @@ def write_png(pixels: DataFrame, path: str, width: int, height: int, bands: tupl
                 yield pd.DataFrame({"py": [y], "x0": [int(frame["px"].to_numpy()[order[0]])], "row": [values[order].tobytes()]})
 
     rows = pixels.select("px", "py", *bands).repartitionByRange("py").sortWithinPartitions("py", "px")
-    parts = rows.mapInPandas(strips, "py int, x0 int, row binary")
+    return rows.mapInPandas(strips, "py int, x0 int, row binary")
+
+
+def write_png(pixels: DataFrame, path: str, width: int, height: int, bands: tuple[str, ...]) -> None:
+    """Writes pixels(px, py, bands): one band is gray, three are RGB, four RGBA, two gray with alpha."""
+    colour = {1: 0, 2: 4, 3: 2, 4: 6}[len(bands)]
+    parts = pixel_rows(pixels, bands)
     temporary = _whole(path)
     packer = zlib.compressobj(6)
     with open(temporary, "wb") as out:
@@ -93,7 +98,7 @@ def read_png(path: str) -> np.ndarray:
     return raw[:, 1:].reshape(height, width, bands)
 
 
-def _triangle_bytes(triangles: DataFrame, order: list) -> DataFrame:
+def triangle_bytes(triangles: DataFrame, order: list) -> DataFrame:
     """part (of the order) and data, the bytes of its triangles."""
     flat = [F.col(f"{v}.{i}").alias(f"{v}{i}") for v in ("n", "v0", "v1", "v2") for i in "xyz"]
     placed = triangles.withColumn("n", normal()).select(*order, *flat)
@@ -117,9 +122,9 @@ def write_stl(path: str, triangles: DataFrame, boxes: DataFrame | None = None) -
     The count in the head is that of the rows really written.
     """
     rank = F.array_position(F.array(*[F.lit(s) for s in SIDES]), F.col("side"))
-    streams = [_triangle_bytes(triangles, [rank.alias("s"), "r", "c", "k"])]
+    streams = [triangle_bytes(triangles, [rank.alias("s"), "r", "c", "k"])]
     if boxes is not None:
-        streams.append(_triangle_bytes(boxes, ["box", "k"]))
+        streams.append(triangle_bytes(boxes, ["box", "k"]))
     temporary = _whole(path)
     total = 0
     with open(temporary, "wb") as out:

@@ -73,7 +73,7 @@ def read_world(spark: SparkSession, save: str, options: WorldOptions = WorldOpti
     Gaps of missing chunks are filled from the nearest cells. x and z are block coordinates.
     """
     chunks = read_chunks(spark, save, options)
-    cells = raster.assemble(chunks.select("cx", "cz", "h"))
+    cells = raster.assemble(chunks.select("cx", "cz", "h", *[c for c in chunks.columns if c == "path"]))
     filled = raster.fill_gaps(cells)
     if "water" in chunks.columns:
         filled = raster.with_water(filled, chunks.select("cx", "cz", "water"))
