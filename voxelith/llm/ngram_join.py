@@ -4,9 +4,10 @@ A document is its set of five-word shingles. Sets are embedded as 64 minhash val
 which two documents share as large a part as their Jaccard similarity. A run splits the
 documents recursively: at each node every shared value is sampled with chance
 1 / (threshold * 64), by a hash of the node's path and the value, and a document goes to
-the child of each sampled value it has. Dissimilar documents part after a level or two;
-runs are repeated until a pair at the threshold is met with the target recall. The sampling
-is a function of path and value alone, so a document finds its leaves on its own.
+the child of each sampled value it has. Dissimilar documents part after a level or two; nodes
+that are still large are split further. Runs are repeated until a pair at the threshold is met with the
+target recall even in the deepest leaves. The sampling is a function of path and value alone, so a
+document finds its nodes on its own.
 
 Leaves are compared by brute force, large ones in pairs of blocks; pairs whose minhash
 values agree well enough span candidate groups. Inside a group every pair is then compared
@@ -22,6 +23,7 @@ ignored elsewhere.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,12 @@ from voxelith.llm.shingles import minhash, shingled
 WORDS = 5
 THRESHOLD = 0.8
 COORDINATES = 64
-#: Levels of a run.
+#: Levels of every run, and at most; leaves of more classes than LEAF_ROWS are split down to MAX_DEPTH.
 DEPTH = 2
-#: Runs: a pair at the threshold is met in one with a chance of 0.47, in ten with 0.998.
-RUNS = 10
+MAX_DEPTH = 4
+LEAF_ROWS = 1024
+#: The chance with which a pair at the threshold is met in some run, even in leaves of MAX_DEPTH: 13 runs.
+RECALL = 0.99
 #: Pairs with a minhash estimate of so much less than the threshold are candidates.
 SLACK = 0.2
 
@@ -67,33 +71,77 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return docs.select("__row", "text").mapInArrow(run, schema)
 
 
-def chosen_paths(classes: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH) -> DataFrame:
-    """The leaves (key, id) of each class (id, signature)."""
-    seed = np.arange(COORDINATES * 256, dtype=np.uint64).reshape(COORDINATES, 256)
-    names = mix64(seed + np.uint64(0x5851F42D4C957F2D))
+def survival(depth: int) -> float:
+    """The chance that a pair at the threshold still shares a node of a run after so many levels.
+
+    The nodes that it shares have one shared child on average, near enough by Poisson's law.
+    """
+    q = 1.0
+    for _ in range(depth):
+        q = 1 - math.exp(-q)
+    return q
+
+
+def runs_for(recall: float, depth: int = MAX_DEPTH) -> int:
+    """Runs that bring together a pair at the threshold with this chance, in leaves of this depth."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
+
+
+def _tokens(marks: np.ndarray) -> np.ndarray:
+    """64-bit names of signature values, each with its coordinate."""
+    place = np.arange(COORDINATES, dtype=np.uint64) * np.uint64(256)
+    return mix64(place + marks + np.uint64(0x5851F42D4C957F2D))
+
+
+def _children(path: np.ndarray, owner: np.ndarray, tokens: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The next level of nodes (path, owner): a child for each value that the node samples of its owner's."""
+    child = mix64(path[:, None] ^ tokens[owner])
+    at, which = np.nonzero(child < limit)
+    return mix64(child[at, which] + np.uint64(1)), owner[at]
+
+
+def _descend(nodes: DataFrame, threshold: float, levels: int, runs: int = 0) -> DataFrame:
+    """The nodes (key, id) that many levels below nodes (key, id, signature), or below the roots of so many
+    runs, which need no key."""
     limit = np.uint64(int(2**64 / (threshold * COORDINATES)))
+    roots = mix64(np.arange(1, runs + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 2048):
                 batch = whole.slice(begin, 2048)
                 ids = batch.column(0).to_numpy()
-                marks = blobs(pa.chunked_array([batch.column(1)]), "u1")
-                tokens = names[np.arange(COORDINATES), marks]
+                tokens = _tokens(blobs(pa.chunked_array([batch.column(1)]), "u1"))
+                starts = [np.full(len(ids), r) for r in roots] if runs else [batch.column(2).to_numpy().view(np.uint64)]
                 keys, owners = [], []
-                for r in range(runs):
+                for path in starts:
                     owner = np.arange(len(ids))
-                    path = mix64(np.full(len(ids), r + 1, dtype=np.uint64))
-                    for _ in range(depth):
-                        child = mix64(path[:, None] ^ tokens[owner])
-                        at, which = np.nonzero(child < limit)
-                        owner = owner[at]
-                        path = mix64(child[at, which] + np.uint64(r + 1))
+                    for _ in range(levels):
+                        path, owner = _children(path, owner, tokens, limit)
                     keys.append(path.view(np.int64))
                     owners.append(ids[owner])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "id"])
 
-    return classes.select("id", "signature").mapInArrow(run, "key long, id long").distinct()
+    return nodes.select("id", "signature", *[] if runs else ["key"]).mapInArrow(run, "key long, id long").distinct()
+
+
+def chosen_paths(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The leaves (key, id) of each class (id, signature).
+
+    Leaves of more than LEAF_ROWS classes are split again, level by level, down to MAX_DEPTH; those that
+    are larger even then hold classes that are alike, and are compared in blocks.
+    """
+    leaves = materialize(_descend(classes, threshold, DEPTH, runs_for(recall)), "join-leaves")
+    done = None
+    for _ in range(DEPTH, MAX_DEPTH):
+        large = materialize(leaves.groupBy("key").count().where(F.col("count") > LEAF_ROWS).select("key"), "join-large")
+        if large.isEmpty():
+            break
+        small = leaves.join(large, "key", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        open_ = leaves.join(large, "key", "left_semi").join(classes.select("id", "signature"), "id")
+        leaves = materialize(_descend(open_, threshold, 1), "join-leaves")
+    return leaves if done is None else done.unionByName(leaves)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -132,7 +180,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """__row, id (class), n_links and component (an id) of every row of docs (__row, doc_id, text)."""
     sketch = materialize(_sketch(docs), "join-sketch")
     classes = sketch.where("n > 0").groupBy("h", "g").agg(
@@ -146,7 +194,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
         marks = blobs(rows.column("blob"), "u1")
         return lambda i, js: (marks[js] == marks[i]).sum(axis=1) >= least
 
-    edges = bucket_edges(chosen_paths(classes, threshold, runs), payload, near_in)
+    edges = bucket_edges(chosen_paths(classes, threshold, recall), payload, near_in)
     groups = materialize(connected_components(edges), "join-groups")
     texts = docs.select(F.col("__row").alias("id"), "text").join(groups.select("id"), "id")
     members = (
@@ -178,7 +226,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = R
     ).select("__row", "id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "__row").alias("component"))
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links, copy_id and kept for every document.
 
     class_id is the smallest doc_id reachable over links, copy_id that of the same word
@@ -186,7 +234,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> Dat
     of each class.
     """
     rows = numbered(docs.select("doc_id", "text"))
-    found = materialize(jaccard_classes(rows, threshold, runs).join(rows.select("__row", "doc_id"), "__row"), "join-rows")
+    found = materialize(jaccard_classes(rows, threshold, recall).join(rows.select("__row", "doc_id"), "__row"), "join-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row"))
     copies = found.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("copy_id"))
     heads = found.groupBy("component").agg(first.alias("head"))
@@ -200,10 +248,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> Dat
     )
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One document of each class, the one of the smallest doc_id, with its columns."""
     rows = numbered(docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("__whole")))
-    found = jaccard_classes(rows.select("__row", "text"), threshold, runs)
+    found = jaccard_classes(rows.select("__row", "text"), threshold, recall)
     found = materialize(found.select("__row", "component").join(rows.select("__row", "doc_id"), "__row"), "join-rows")
     heads = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")).alias("h"))
     return rows.join(heads.select(F.col("h.__row").alias("__row")), "__row").select("__whole.*")
