@@ -239,11 +239,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with their columns."""
-    stats = with_statistics(docs.select("doc_id", "text")).select("doc_id", "__stats")
-    model = fit(stats, labels, ~held_out(F.col("doc_id")))
-    # The row travels as one struct, so that its column names cannot clash with the measures.
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), "text")
-    return with_statistics(packed).where(scorer(model)("__stats") >= threshold).select("__row.*")
+    # The row travels as one struct, so that its column names cannot clash with the measures. It is
+    # written with them: they cost more than a second copy of the text.
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), "doc_id", "text")
+    stats = materialize(with_statistics(packed).select("__row", "doc_id", "__stats"), "classifier-stats")
+    model = fit(stats.select("doc_id", "__stats"), labels, ~held_out(F.col("doc_id")))
+    return stats.where(scorer(model)("__stats") >= threshold).select("__row.*")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
