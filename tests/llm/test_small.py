@@ -672,6 +672,25 @@ def test_line_recall(spark, change):
     assert len(gone) >= 0.95 * len({max(p) for p in true})
 
 
+def test_line_recall_of_a_table(spark):
+    """All pairs of a table's lines that reach the edit similarity, by brute force, share a group."""
+    from voxelith.llm.common import numbered
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    occurrences, groups = line_dedup.line_groups(numbered(docs.select("doc_id", "text")))
+    named = occurrences.select("norm", "h", "g").distinct().join(groups, ["h", "g"]).select("norm", F.coalesce("component", "id").alias("c"))
+    group = {r.norm: r.c for r in named.collect() if len(r.norm.split(" ")) >= 5}
+    lines = sorted(group)
+    bags = [set(x.split(" ")) for x in lines]
+    near = [
+        (a, b) for i, a in enumerate(lines) for j, b in enumerate(lines[:i])
+        if abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and len(bags[i] & bags[j]) >= 0.45 * max(len(bags[i]), len(bags[j]))
+        and edit(a, b) <= 0.2 * max(len(a), len(b))
+    ]
+    assert len(near) > 40
+    assert sum(group[a] == group[b] for a, b in near) >= 0.95 * len(near)
+
+
 def test_line_twins_whatever_the_table_size(spark, monkeypatch):
     rng = np.random.default_rng(23)
     data = []
