@@ -592,7 +592,8 @@ def test_simhash(spark):
 
     texts = [prose(1, 30), prose(2, 300), "one two three", "A a a B", " ".join(f"k{i}" for i in range(1000)), "x"]
     frame = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "__row long, doc_id long, text string")
-    got = {r.doc_id: r.sim for r in line_dedup.with_simhash(line_dedup._occurrences(frame)).collect()}
+    lines = line_dedup._occurrences(frame).select("doc_id", line_dedup.word_hashes().alias("hashes"))
+    got = {r.doc_id: r.sim for r in line_dedup.simhashes(lines, "doc_id").collect()}
     assert got == {i: sim(t) for i, t in enumerate(texts)}
 
 
