@@ -91,7 +91,7 @@ def solid_triangles(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         "*", F.col("__next.a").alias("d"), F.col("__next.b").alias("e")
     )
     edges = points.groupBy(*by).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    rows = rows.join(F.broadcast(edges), list(by)) if by else rows.crossJoin(F.broadcast(edges))
+    rows = rows.join(edges, list(by)) if by else rows.crossJoin(F.broadcast(edges))
     a, b, d, e = (_point(n) for n in "abde")
     fa, fb, fd, fe = (_point(n, True) for n in "abde")
     quad = _faces(("top", 0, (a, b, e)), ("top", 1, (a, e, d)), ("bottom", 0, (fa, fe, fb)), ("bottom", 1, (fa, fd, fe)))
@@ -133,6 +133,7 @@ def border_boxes(terrain_x: float, terrain_y: float, wall: float, top: float) ->
 
 BOX_COLUMNS = ("x0", "x1", "y0", "y1", "z0", "z1")
 #: Corners of a box by bits of x, y and z, for its twelve triangles with normals outwards.
+#: A file's triangles come in this order.
 _BOX = (
     ("000", "110", "100"), ("000", "010", "110"), ("001", "101", "111"), ("001", "111", "011"),
     ("000", "100", "101"), ("000", "101", "001"), ("100", "110", "111"), ("100", "111", "101"),
@@ -204,7 +205,7 @@ class TilePlan:
         sides = placed.groupBy("tz", "tx").agg(
             (F.max("c") > F.min("c")).alias("__wide"), (F.max("r") > F.min("r")).alias("__tall")
         )
-        return placed.join(F.broadcast(sides.where("__wide and __tall").select("tz", "tx")), ["tz", "tx"])
+        return placed.join(sides.where("__wide and __tall").select("tz", "tx"), ["tz", "tx"])
 
 
 def clip_boxes(boxes: DataFrame, windows: DataFrame, step: float) -> DataFrame:
