@@ -208,6 +208,33 @@ def test_training_raises_likelihood(docs):
     assert scores[2] > scores[0]
 
 
+def test_first_guess_covers_every_text(spark):
+    """Each text has a word of its own, which is a class; the states give all of these classes their share."""
+    own = [i for i in range(2300) if not hidden_markov.held_out(i)]
+    docs = spark.createDataFrame([(i, f"own{i}") for i in range(2300)], "doc_id long, text string").coalesce(3)
+    blocks = hidden_markov.text_blocks(docs).cache()
+    totals = hidden_markov.word_totals(blocks, 2 * len(own)).cache()
+    coded = hidden_markov.encode(blocks, totals, hidden_markov.facts(blocks, totals)).cache()
+    chain = hidden_markov.initial(coded, 2)
+    got = (chain.emits @ chain.first)[hidden_markov.ENDINGS : hidden_markov.ENDINGS + len(own)]
+    assert len(own) > 1900 and got.min() > 0.3 * got.max()
+
+
+def test_texts_as_bags(spark, monkeypatch):
+    """Rows of bags are bounded and hold each training text's counts."""
+    monkeypatch.setattr(hidden_markov, "BAG_CELLS", 40)
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 50, n) for n in (1, 3, 70, 400, 2, 9)]
+    frame = spark.createDataFrame([(i == 4, hidden_markov._pack(x)) for i, x in enumerate(texts)], "held_out boolean, classes binary").coalesce(1)
+    got = Counter()
+    for row in hidden_markov.text_bags(frame).collect():
+        starts, text, classes, counts = hidden_markov._bag(*map(bytes, row))
+        assert len(starts) == 1 or len(classes) <= 40
+        for t in range(len(starts)):
+            got[tuple(sorted(zip(classes[text == t].tolist(), counts[text == t].tolist(), strict=True)))] += 1
+    assert got == Counter(tuple(sorted(Counter(x.tolist()).items())) for i, x in enumerate(texts) if i != 4)
+
+
 # Chat formatting -----------------------------------------------------------------------
 
 

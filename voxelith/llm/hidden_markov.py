@@ -12,8 +12,8 @@ the rows meet by word, whose total goes back to the blocks. No vocabulary is eve
 one place. Training: Baum-Welch counts are summed inside tasks and then across them, by
 slices. Scoring: the scaled forward recursion over the whole text, exact for any length.
 
-The first guess of the states comes from a mixture fitted to a sample of at most
-INITIAL_TEXTS training texts; the passes that train the states cover every training text.
+The first guess of the states comes from a mixture that is fitted to every training text, as
+bags of classes; the passes that train the states cover every training text too.
 
 Words are counted by a 64-bit key (class of the ending and a hash); of v words, two meet
 with a chance below v * v / 2**54. Null texts count as empty; empty texts are their end.
@@ -48,8 +48,12 @@ END = ENDINGS + FREQUENT
 CLASSES = END + 1
 #: Bytes of text that share one local vocabulary.
 BLOCK_BYTES = 32 << 20
-INITIAL_TEXTS = 1500
+#: Steps of the mixture that the states start from; they end when one gains less than this (natural log) a token.
 INITIAL_STEPS = 12
+INITIAL_GAIN = 1e-3
+#: Numbers in the sketch of a text, and entries of the counts of texts that share a row.
+SKETCH = 32
+BAG_CELLS = 250_000
 #: Numbers in the tables of one batch of sequences.
 CELLS = 4_000_000
 SEED = 5
@@ -359,49 +363,145 @@ def estimate(first: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> Chain:
     )
 
 
-def initial(coded: DataFrame, states: int = STATES) -> Chain:
-    """States from a mixture of class distributions, fitted to a bounded sample of training texts."""
-    learn = coded.where(~F.col("held_out"))
-    total = learn.count()
-    part = max(1, total // INITIAL_TEXTS)
-    sample = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).orderBy(F.xxhash64("doc_id", F.lit(1)), "n_tokens").limit(INITIAL_TEXTS)
+def text_bags(coded: DataFrame) -> DataFrame:
+    """The training texts as counts of their classes, many texts a row: sizes (entries of each text), classes and counts.
 
+    A row has at most BAG_CELLS entries, and a text at most CLASSES of them, whatever its length.
+    """
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            sizes = np.array([len(c) for c, _ in held])
+            columns = [_pack(x) for x in (sizes, *map(np.concatenate, zip(*held, strict=True)))]
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["sizes", "classes", "counts"])
+
         for batch in batches:
-            for held in _portions(batch):
-                found = [np.unique(_unpack(x), return_counts=True) for x in held]
-                yield pa.RecordBatch.from_arrays([pa.array([_pack(x) for x in c], pa.binary()) for c in zip(*found, strict=True)], ["classes", "counts"])
-
-    # Whole texts of any length come as the counts of their classes.
-    rows = sample.select("classes").mapInArrow(bags, "classes binary, counts binary").collect()
-    counts = np.zeros((max(1, len(rows)), CLASSES), dtype=np.float32)
-    for i, row in enumerate(rows):
-        counts[i, _unpack(row.classes).astype(np.int64)] = _unpack(row.counts)
-    rng = np.random.default_rng(SEED)
-    overall = (counts.sum(axis=0) + 1) / (counts.sum() + CLASSES)
-    unit = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
-    chosen = [int(rng.integers(len(unit)))]
-    near = unit @ unit[chosen[0]]
-    while len(chosen) < states:
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, unit @ unit[chosen[-1]])
-    share = np.full(states, 1 / states)
-    emits = np.stack([counts[i] for i in chosen], axis=1).astype(np.float64)
+            for part in _portions(batch):
+                for text in part:
+                    found = np.unique(_unpack(text), return_counts=True)
+                    if held and size + len(found[0]) > BAG_CELLS:
+                        yield flush()
+                        held, size = [], 0
+                    held.append(found)
+                    size += len(found[0])
+        if held:
+            yield flush()
+
+    return coded.where(~F.col("held_out")).select("classes").mapInArrow(bags, "sizes binary, classes binary, counts binary")
+
+
+def _bag(sizes: bytes, classes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text starts, the text of each entry, its class and its count."""
+    sizes = _unpack(sizes).astype(np.int64)
+    return np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes), _unpack(classes).astype(np.int64), _unpack(counts).astype(np.float64)
+
+
+def _sketch_sums(classes: np.ndarray, counts: np.ndarray, starts: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """A sketch of each text: the square roots of its classes' shares, projected to SKETCH numbers."""
+    signs = np.random.default_rng(SEED).choice(np.float32([-1, 1]), (CLASSES, SKETCH))
+    unit = np.sqrt(counts / np.add.reduceat(counts, starts)[text]).astype(np.float32)
+    return np.add.reduceat(unit[:, None] * signs[classes], starts).astype(np.float64)
+
+
+def _weighed(weight: np.ndarray, text: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of each class in each state, of texts that belong to the states by weight."""
+    return np.stack([np.bincount(classes, weights=counts * w[text], minlength=CLASSES) for w in weight.T], axis=1)
+
+
+def initial(coded: DataFrame, states: int = STATES, log: Callable[[str], None] | None = None) -> Chain:
+    """States from a mixture of class distributions, fitted to every training text.
+
+    The texts are first parted by the signs of their places along the main directions of their sketches,
+    then the mixture is fitted in steps until one gains less than INITIAL_GAIN a token, INITIAL_STEPS at most.
+    All that comes together are sums of a size that no table changes.
+    """
+    say = log or (lambda line: None)
+    bags = materialize(text_bags(coded), "hmm-bags")
+
+    def moments(starts: np.ndarray, text: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        sketch = _sketch_sums(classes, counts, starts, text)
+        return [np.array([len(sketch)]), sketch.sum(axis=0), sketch.T @ sketch]
+
+    n, mean, square = _bag_sums(bags, moments, [(1,), (SKETCH,), (SKETCH, SKETCH)])
+    mean = mean / max(1, n[0])
+    bits = max(1, (states - 1).bit_length())
+    main = np.linalg.eigh(square / max(1, n[0]) - np.outer(mean, mean))[1][:, ::-1][:, :bits]
+
+    def parted(starts: np.ndarray, text: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        side = (_sketch_sums(classes, counts, starts, text) - mean) @ main > 0
+        return [_weighed(np.eye(states)[side @ (1 << np.arange(bits)) % states], text, classes, counts)]
+
+    emits = _bag_sums(bags, parted, [(CLASSES, states)])[0]
+    total = emits.sum()
+    overall = (emits.sum(axis=1) + 1) / (total + CLASSES)
     emits = emits / np.maximum(emits.sum(axis=0), 1) * 0.5 + 0.5 * overall[:, None]
-    for _ in range(INITIAL_STEPS):
-        score = counts @ np.log(emits) + np.log(share)
-        score -= score.max(axis=1, keepdims=True)
-        weight = np.exp(score)
-        weight /= weight.sum(axis=1, keepdims=True)
-        share = (weight.sum(axis=0) + 1) / (len(counts) + states)
-        emits = counts.T.astype(np.float64) @ weight + overall[:, None] * 100
+    share = np.full(states, 1 / states)
+    before = -np.inf
+    for i in range(INITIAL_STEPS):
+        logs, prior = np.log(emits), np.log(share)
+
+        def step(
+            starts: np.ndarray, text: np.ndarray, classes: np.ndarray, counts: np.ndarray, logs: np.ndarray = logs, prior: np.ndarray = prior
+        ) -> list[np.ndarray]:
+            score = np.add.reduceat(counts[:, None] * logs[classes], starts) + prior
+            most = score.max(axis=1, keepdims=True)
+            weight = np.exp(score - most)
+            sums = weight.sum(axis=1, keepdims=True)
+            weight /= sums
+            return [weight.sum(axis=0), (most + np.log(sums)).sum(axis=0), _weighed(weight, text, classes, counts)]
+
+        texts, likelihood, emits = _bag_sums(bags, step, [(states,), (1,), (CLASSES, states)])
+        share = (texts + 1) / (texts.sum() + states)
+        emits = emits + overall[:, None] * 100
         emits /= emits.sum(axis=0)
+        say(f"mixture step {i + 1}: {likelihood[0] / max(1.0, total):.5f} a token")
+        if likelihood[0] - before < INITIAL_GAIN * max(1.0, total):
+            break
+        before = likelihood[0]
     moves = np.full((states, states), 0.02 / max(1, states - 1)) + np.eye(states) * 0.98
     return Chain(share, moves / moves.sum(axis=1, keepdims=True), emits)
 
 
-#: Rows of the emission counts that are summed in one place.
-SLICE = 256
+#: Numbers of the counts that are summed in one place.
+SLICE = 2048
+
+
+def _slices(flat: np.ndarray) -> pa.RecordBatch:
+    pieces = [flat[i : i + SLICE].tobytes() for i in range(0, len(flat), SLICE)]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces))), pa.array(pieces, pa.binary())], ["i", "v"])
+
+
+def _summed(parts: DataFrame, shapes: list[tuple[int, ...]]) -> list[np.ndarray] | None:
+    """The sums of the arrays that tasks gave as slices (i, v), or none if there are no rows."""
+    def add(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        i, v = rows.column("i").to_numpy(), rows.column("v").to_pylist()
+        starts = group_starts([rows.column("i")])
+        sums = [sum(np.frombuffer(x) for x in v[a:b]).tobytes() for a, b in zip(starts, [*starts[1:], len(v)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(i[starts]), pa.array(sums, pa.binary())], ["i", "v"])
+
+    summed = sorted((r.i, r.v) for r in map_groups(parts, ["i"], add, "i long, v binary").collect())
+    if not summed:
+        return None
+    cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+    flat = np.concatenate([np.frombuffer(v) for _, v in summed])
+    return [part.reshape(shape) for part, shape in zip(np.split(flat, cuts), shapes, strict=True)]
+
+
+def _bag_sums(bags: DataFrame, measure: Callable[..., list[np.ndarray]], shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+    """The sums over all bags of the arrays that measure gives for a row of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = None
+        for batch in batches:
+            for row in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                own = np.concatenate([np.ravel(x).astype(np.float64) for x in measure(*_bag(*row))])
+                flat = own if flat is None else flat + own
+        if flat is not None:
+            yield _slices(flat)
+
+    found = _summed(bags.mapInArrow(run, "i long, v binary"), shapes)
+    return found or [np.zeros(s) for s in shapes]
 
 
 def train_pass(coded: DataFrame, chain: Chain) -> Chain:
@@ -416,24 +516,11 @@ def train_pass(coded: DataFrame, chain: Chain) -> Chain:
             for part in _portions(batch):
                 a, b, c = baum_welch_counts(model, [_unpack(x).astype(np.int64) for x in part])
                 first, moves, emits = first + a, moves + b, emits + c
-        flat = np.concatenate([first, moves.ravel(), emits.ravel()])
-        pieces = [flat[i : i + SLICE * k] for i in range(0, len(flat), SLICE * k)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(pieces))), pa.array([p.tobytes() for p in pieces], pa.binary())], ["i", "v"]
-        )
-
-    def add(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        i, v = rows.column("i").to_numpy(), rows.column("v").to_pylist()
-        starts = group_starts([rows.column("i")])
-        sums = [sum(np.frombuffer(x) for x in v[a:b]).tobytes() for a, b in zip(starts, [*starts[1:], len(v)], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(i[starts]), pa.array(sums, pa.binary())], ["i", "v"])
+        yield _slices(np.concatenate([first, moves.ravel(), emits.ravel()]))
 
     parts = coded.where(~F.col("held_out")).select("classes").mapInArrow(count, "i long, v binary")
-    summed = sorted((r.i, r.v) for r in map_groups(parts, ["i"], add, "i long, v binary").collect())
-    if not summed:
-        return chain
-    flat = np.concatenate([np.frombuffer(v) for _, v in summed])
-    return estimate(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(CLASSES, k))
+    sums = _summed(parts, [(k,), (k, k), (CLASSES, k)])
+    return chain if sums is None else estimate(*sums)
 
 
 def _portions(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[list[bytes]]:
@@ -481,7 +568,7 @@ def language_model_scores(docs: DataFrame, states: int = STATES, passes: int = P
     words = facts(blocks, totals)
     say(f"{words.tokens} tokens, {words.distinct} distinct, {len(words.frequent)} frequent")
     coded = materialize(encode(blocks, totals, words), "hmm-coded")
-    chain = initial(coded, states)
+    chain = initial(coded, states, log)
     for i in range(passes):
         chain = train_pass(coded, chain)
         say(f"pass {i + 1}: stay {np.diag(chain.moves).round(4)}")
