@@ -719,6 +719,39 @@ def test_line_recall_of_a_table(spark):
     assert sum(group[a] == group[b] for a, b in near) >= 0.95 * len(near)
 
 
+def scattered_twins(seed, n=20):
+    """Lines of six long words and many short ones, and copies with a character of each short word changed."""
+    rng = np.random.default_rng(seed)
+    word = lambda size: "".join("abcdefghijklmnopqrstuvwxyz"[i] for i in rng.integers(0, 26, size))
+    twins = []
+    for _ in range(n):
+        long, short = [word(20) for _ in range(6)], [word(3) for _ in range(30)]
+        twins.append((long, short, [w[:1] + "#" + w[2:] for w in short]))
+    return twins
+
+
+def test_twins_of_unlike_words(spark):
+    """Lines whose SimHashes differ in most words, and that yet have the edit similarity, are duplicates."""
+    data = []
+    for i, (long, short, other) in enumerate(scattered_twins(31)):
+        data += [(2 * i, " ".join(long + short)), (2 * i + 1, " ".join(long + other))]
+        assert edit(data[-1][1], data[-2][1]) <= 0.2 * len(data[-1][1])
+    frame = spark.createDataFrame(data, "doc_id long, text string").coalesce(2)
+    assert {r.doc_id for r in line_dedup.dedup_lines(frame).collect() if r.n_removed} == {i for i, _ in data if i % 2}
+
+
+def test_twins_beside_another_head(spark, monkeypatch):
+    """Twins in blocks with a head that is like neither, which share few of their words, by probes or by the last test of all."""
+    data = []
+    for i, (long, short, other) in enumerate(scattered_twins(32, 8)):
+        head = " ".join(long + [w * 4 for w in short])
+        data += [(4 * i, head), (4 * i + 1, head), (4 * i + 2, " ".join(long + short)), (4 * i + 3, " ".join(long + other))]
+    frame = spark.createDataFrame(data, "doc_id long, text string").coalesce(2)
+    for rounds in (line_dedup.ROUNDS, 0):
+        monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+        assert {r.doc_id for r in line_dedup.dedup_lines(frame).collect() if r.n_removed} == {i for i, _ in data if i % 2}
+
+
 def test_line_twins_whatever_the_table_size(spark, monkeypatch):
     rng = np.random.default_rng(23)
     data = []
