@@ -428,6 +428,27 @@ def test_numbers_survive_a_shuffle(spark, docs):
     assert "/numbered-" not in numbered(docs.where("doc_id > 1").select("text")).inputFiles()[0]
 
 
+def test_shuffles_go_with_their_write(spark):
+    import time
+
+    from voxelith.llm.common import SHUFFLE_CLEANUP, materialize
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    blocks = lambda: {b for b in manager.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    before, setting = blocks(), spark.conf.get(SHUFFLE_CLEANUP)
+    frame = spark.range(1000).repartition(3, "id").groupBy("id").count()
+    assert materialize(frame, "swept").count() == 1000
+    assert spark.conf.get(SHUFFLE_CLEANUP) == setting
+    # The shuffle of the last count has a file yet.
+    left = lambda: {b.split("_")[1] for b in blocks() - before}
+    end = time.time() + 10
+    while len(left()) > 1 and time.time() < end:
+        time.sleep(0.2)
+    assert len(left()) <= 1
+    # The frame itself can still be worked out.
+    assert frame.count() == 1000
+
+
 def test_mixing_meets_targets(spark):
     rng = np.random.default_rng(1)
     data = [(i, "w " * int(rng.integers(1, 200)), f"s{min(9, int(rng.exponential(2)))}") for i in range(4000)]
