@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -795,6 +796,42 @@ def test_line_twins_whatever_the_table_size(spark, monkeypatch):
     assert sum(r.n_removed for r in line_dedup.dedup_lines(frame).collect()) == 60
 
 
+def test_unlike_lines_of_a_block_make_no_rows(spark, monkeypatch):
+    """Lines that share blocks and are not alike are compared where they meet; only links become rows, each once."""
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 16)
+    rng = np.random.default_rng(41)
+    texts = ["common passage of words " + "".join("abcdefghij"[k] for k in rng.integers(0, 10, 60)) for _ in range(100)]
+    texts += [t[:-1] + "#" for t in texts[:7]]
+    lines = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "id long, norm string, chars int")
+    held = lines.select("id", "chars", F.col("id").alias("component"), F.lit(len(texts)).cast("long").alias("size")).withColumn(
+        "key", F.explode(F.array(*[F.lit(k).cast("long") for k in (5, 6, 7)]))
+    )
+    got = [tuple(r) for r in line_dedup._across(held, lines).collect()]
+    assert sorted(got) == [(i, 100 + i, False) for i in range(7)]
+
+
+def test_intermediate_tables_go(spark):
+    """What a stage leaves behind is what the frame it returns still reads."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    for frame in (quality_classifier.keep_good(docs, labels), line_dedup.drop_lines(docs), ngram_join.keep_one(docs)):
+        assert frame.count() > 0
+    left = sorted(name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before)
+    assert left == ["classifier-gone", "join-rows", "line-drops"]
+
+
+def test_keep_good_keeps_what_the_classifier_predicts(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    want = sorted(r.doc_id for r in quality_classifier.classify(docs, labels).where("predicted = 1").collect())
+    got = quality_classifier.keep_good(docs, labels)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == want and 0 < len(want) < docs.count()
+    assert got.exceptAll(docs).isEmpty()
+
+
 # WARC ----------------------------------------------------------------------------------
 
 

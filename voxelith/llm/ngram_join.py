@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import materialize, mix64, numbered, table, text_slices
+from voxelith.llm.common import materialize, mix64, numbered, table, temporary, text_slices
 from voxelith.llm.links import blobs, bucket_edges, component_links, connected_components
 from voxelith.llm.shingles import minhash, shingled
 
@@ -234,7 +234,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     of each class.
     """
     rows = numbered(docs.select("doc_id", "text"))
-    found = materialize(jaccard_classes(rows, threshold, recall).join(rows.select("__row", "doc_id"), "__row"), "join-rows")
+    with temporary() as keep:
+        found = keep(materialize(jaccard_classes(rows, threshold, recall).join(rows.select("__row", "doc_id"), "__row"), "join-rows"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row"))
     copies = found.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("copy_id"))
     heads = found.groupBy("component").agg(first.alias("head"))
@@ -251,8 +252,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One document of each class, the one of the smallest doc_id, with its columns."""
     rows = numbered(docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("__whole")))
-    found = jaccard_classes(rows.select("__row", "text"), threshold, recall)
-    found = materialize(found.select("__row", "component").join(rows.select("__row", "doc_id"), "__row"), "join-rows")
+    with temporary() as keep:
+        found = jaccard_classes(rows.select("__row", "text"), threshold, recall)
+        found = keep(materialize(found.select("__row", "component").join(rows.select("__row", "doc_id"), "__row"), "join-rows"))
     heads = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__row")).alias("h"))
     return rows.join(heads.select(F.col("h.__row").alias("__row")), "__row").select("__whole.*")
 

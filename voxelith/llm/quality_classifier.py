@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import SPACE_CHARS, map_groups, materialize, pinned, table, word_array
+from voxelith.llm.common import SPACE_CHARS, map_groups, marked, materialize, numbered, pinned, table, temporary, word_array
 from voxelith.llm.quality_rules import STOP_WORDS
 
 #: At most about so many labelled rows are learned from.
@@ -239,12 +239,18 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with their columns."""
-    # The row travels as one struct, so that its column names cannot clash with the measures. It is
-    # written with them: they cost more than a second copy of the text.
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), "doc_id", "text")
-    stats = materialize(with_statistics(packed).select("__row", "doc_id", "__stats"), "classifier-stats")
-    model = fit(stats.select("doc_id", "__stats"), labels, ~held_out(F.col("doc_id")))
-    return stats.where(scorer(model)("__stats") >= threshold).select("__row.*")
+    # The row travels as one struct, so that its column names cannot clash with the measures.
+    rows = numbered(docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("__whole")))
+    with temporary() as keep:
+        stats = materialize(with_statistics(rows.select("__row", "doc_id", "text")).select("__row", "doc_id", "__stats"), "classifier-stats")
+        model = fit(stats.select("doc_id", "__stats"), labels, ~held_out(F.col("doc_id")))
+        good = F.coalesce(scorer(model)("__stats") >= threshold, F.lit(False))
+        gone = keep(materialize(stats.select("__row", good.alias("good")).where("not good").select("__row"), "classifier-gone"))
+    # Rows that stay, as the bitmap shows for most of them, skip the shuffle.
+    found = marked(rows.select("__row", "__whole"), gone)
+    sure = found.where("not __maybe").select("__whole")
+    others = found.where("__maybe").select("__row", "__whole").join(gone, "__row", "left_anti").select("__whole")
+    return sure.unionByName(others).select("__whole.*")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
